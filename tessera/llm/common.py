@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,15 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return edges
+
+
+def joined_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels of positions (each the position of its group's root) after the groups of i[k] and j[k] are joined."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        if (label[i] == low).all() and (label[j] == low).all():
+            return label
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while not np.array_equal(label, higher := label[label]):
+            label = higher

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, packing, secret_scan, simhash, winnowing
+from tessera.llm import embedding_dedup, language_id, packing, secret_scan, simhash, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +22,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
-    number = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *number, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"] != "lexed")
+    numbers = [secret_scan.number(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *numbers, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +51,26 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_secret_scan, op8_language_id, op9_winnowing, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op3_secret_scan, op6_embedding_dedup, op8_language_id, op9_winnowing, op10_packing)}
+
+
+OP6_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR isnan(e) OR isinf(e))) = 0
+    AND len(list_filter(embedding, e -> e <> 0)) > 0
+), pairs AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.low AS component_id, e.vec_id = r.low AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON e.vec_id = r.a
+LEFT JOIN (SELECT a, count(*) AS n FROM pairs GROUP BY a) n ON e.vec_id = n.a
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_embedding_dedup": OP6_SQL}

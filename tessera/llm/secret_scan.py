@@ -123,6 +123,11 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def number(spans: Column, kind: str) -> Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """`docs` with every secret in `text_col` replaced by `mask`; overlapping spans count as one.  Null stays null."""
 

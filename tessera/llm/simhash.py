@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, saved
+from tessera.llm.common import components, joined_labels, saved
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -114,18 +114,6 @@ def _forest(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Links of at most MAX_BITS between rows with equal keys (rows sorted by key): a star for each group of
     rows that such links join within a run of one key."""
     label = np.arange(len(keys))
-
-    def join(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal label
-        while True:
-            low = np.minimum(label[i], label[j])
-            if (label[i] == low).all() and (label[j] == low).all():
-                return
-            np.minimum.at(label, label[i], low)
-            np.minimum.at(label, label[j], low)
-            while not np.array_equal(label, higher := label[label]):
-                label = higher
-
     at, waiting, number = np.arange(len(keys)), [], 0
     for step in range(1, len(keys)):
         at = at[at < len(keys) - step]
@@ -136,10 +124,10 @@ def _forest(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarra
         waiting.append((near, near + step))
         number += len(near)
         if number > 200_000:
-            join(*map(np.concatenate, zip(*waiting, strict=True)))
+            label = joined_labels(label, *map(np.concatenate, zip(*waiting, strict=True)))
             waiting, number = [], 0
     if number:
-        join(*map(np.concatenate, zip(*waiting, strict=True)))
+        label = joined_labels(label, *map(np.concatenate, zip(*waiting, strict=True)))
     linked = np.nonzero(label != np.arange(len(keys)))[0]
     return prints[linked], prints[label[linked]]
 

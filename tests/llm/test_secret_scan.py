@@ -44,12 +44,14 @@ def test_scan_and_redact(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "x token = abcdef12 y", "c"), (3, "x token = abcdef12 y", "c"), (None, "plain", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     found = S.scan(docs).select("doc_id", "text", S.joined(S.F.col("spans"))).collect()
+    assert sorted(r[0] for r in S.scan(docs).select(S.number(S.F.col("spans"), "assign")).collect()) == [0, 0, 0, 1, 1]
     assert sorted(map(tuple, found), key=str) == sorted([(1, None, ""), (2, "", ""), *[(3, "x token = abcdef12 y", "assign:2:18")] * 2, (None, "plain", "")], key=str)
     assert {(r.doc_id, r.text) for r in S.redact(docs).collect()} == {(1, None), (2, ""), (3, "x [secret] y"), (None, "plain")}
     assert S.scan(docs.limit(0)).count() == 0
 
 
-def test_query_on_whole_table(spark, sf_dir):
+def test_query_on_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.01"
     from hashlib import sha256
 
     from tessera.llm.queries import op3_secret_scan
