@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, language_id, packing, secret_scan, simhash, winnowing
+from tessera.llm import embedding_dedup, language_id, packing, secret_scan, simhash, substring_dedup, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *numbers, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -51,7 +55,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_secret_scan, op6_embedding_dedup, op8_language_id, op9_winnowing, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op3_secret_scan, op5_substring_dedup, op6_embedding_dedup, op8_language_id, op9_winnowing, op10_packing)}
 
 
 OP6_SQL = """
