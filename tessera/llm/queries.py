@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, language_id, packing, secret_scan, simhash, substring_dedup, winnowing
+from tessera.llm import embedding_dedup, language_id, packing, piece_bpe, secret_scan, simhash, substring_dedup, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = piece_bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = piece_bpe.decode(F.col("ids"), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (back == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] != "lexed")
@@ -55,7 +62,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_secret_scan, op5_substring_dedup, op6_embedding_dedup, op8_language_id, op9_winnowing, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_piece_bpe, op3_secret_scan, op5_substring_dedup, op6_embedding_dedup, op8_language_id, op9_winnowing, op10_packing)}
 
 
 OP6_SQL = """
