@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, language_id, packing, piece_bpe, secret_scan, simhash, substring_dedup, winnowing
+from tessera.llm import embedding_dedup, language_id, packing, piece_bpe, quote_linking, secret_scan, simhash, substring_dedup, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_linking.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -62,7 +66,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_piece_bpe, op3_secret_scan, op5_substring_dedup, op6_embedding_dedup, op8_language_id, op9_winnowing, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_piece_bpe, op3_secret_scan, op5_substring_dedup, op6_embedding_dedup, op7_quote_linking, op8_language_id, op9_winnowing, op10_packing)}
 
 
 OP6_SQL = """
@@ -83,5 +87,43 @@ LEFT JOIN (SELECT a, count(*) AS n FROM pairs GROUP BY a) n ON e.vec_id = n.a
 """
 
 
+OP7_SQL = r"""
+WITH messages AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, role,
+         string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS raw
+  FROM conversations
+), lines AS (
+  SELECT id, conv_id, turn, role, k, len(regexp_replace(mark, '[^>]', '', 'g')) AS level, substr(line, len(mark) + 1) AS said
+  FROM (SELECT id, conv_id, turn, role, k, line, regexp_extract(line, '^(?:[ \t]*>)+[ \t]?') AS mark
+        FROM (SELECT id, conv_id, turn, role, unnest(raw) AS line, unnest(range(1, len(raw) + 1)) AS k FROM messages))
+), numbered AS (
+  SELECT *, k - row_number() OVER (PARTITION BY id, level ORDER BY k) AS run FROM lines
+), passages AS (
+  SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(said), '\s+', ' ', 'g')) AS passage
+  FROM (SELECT conv_id, turn, level, said FROM lines
+        UNION ALL SELECT conv_id, turn, level, string_agg(said, ' ' ORDER BY k) FROM numbered GROUP BY id, conv_id, turn, level, run)
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), originals AS (
+  SELECT conv_id, passage, min(turn) AS source FROM passages WHERE level = 0 AND passage <> '' GROUP BY conv_id, passage
+), linked AS (
+  SELECT q.conv_id, q.turn, q.level, o.source FROM passages q JOIN originals o USING (conv_id, passage)
+  WHERE q.level > 0 AND q.passage <> '' AND o.source < q.turn
+), replies AS (
+  SELECT conv_id, turn, max(source) FILTER (WHERE level = low) AS found, count(*) AS n_linked
+  FROM (SELECT *, min(level) OVER (PARTITION BY conv_id, turn) AS low FROM linked) GROUP BY conv_id, turn
+), own AS (
+  SELECT id, conv_id, turn, role, max(level) AS quote_depth, count(*) FILTER (WHERE level > 0) AS n_quoted,
+         trim(coalesce(string_agg(said, chr(10) ORDER BY k) FILTER (WHERE level = 0 AND NOT (introduces AND following > 0)), '')) AS text
+  FROM (SELECT *, regexp_matches(said, '(?i)(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$') AS introduces,
+               coalesce(lead(level) OVER (PARTITION BY id ORDER BY k), 0) AS following FROM lines)
+  GROUP BY id, conv_id, turn, role
+)
+SELECT o.conv_id, o.turn, o.role, o.text, CAST(o.quote_depth AS INTEGER) AS quote_depth, o.n_quoted,
+       coalesce(r.n_linked, 0) AS n_linked, coalesce(r.found, p.turn) AS reply_to
+FROM own o LEFT JOIN replies r ON o.conv_id = r.conv_id AND o.turn = r.turn
+LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations) p ON o.conv_id = p.conv_id AND o.turn = p.turn + 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_dedup": OP6_SQL}
+    return {"op6_embedding_dedup": OP6_SQL, "op7_quote_linking": OP7_SQL}
