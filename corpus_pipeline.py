@@ -1,18 +1,60 @@
-"""Corpus pipeline (filled in stage by stage)."""
+"""The corpus pipeline: language ID, SimHash near-dedup, substring dedup, secret scans, packing.
 
-from tessera.llm import simhash
+Every stage takes the documents that the one before it kept, as Parquet, and applies one operator of tessera.llm.
+All but the last return the columns of documents; the last returns the pieces of packed sequences.
+"""
 
+from __future__ import annotations
 
-def near_dedup(spark, docs, sf_dir):
-    return simhash.keep_one(docs)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import language_id, packing, secret_scan, simhash, substring_dedup
+from tessera.llm.common import saved
+from tessera.llm.queries import tokenizer_path
 
-STAGES = [("simhash near-dedup", near_dedup)]
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no language that the model knows (no letters) go; the others get the predicted language."""
+    found = language_id.identify(docs).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash.keep_one(docs).select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller id has are cut out; a document that had nothing else goes."""
+    return _measured(substring_dedup.without_repeats(docs))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mask."""
+    return _measured(secret_scan.redact(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become pieces of sequences of at most 1024 tokens."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+STAGES = [("language ID", language), ("SimHash near-dedup", near_dedup), ("substring dedup", passages), ("secret scans", secrets), ("packing", packed)]
+
+#: SQL can't express the hashes, the language model, or the packing; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, "stage")
     return docs

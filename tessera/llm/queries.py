@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, language_id, packing, piece_bpe, quote_linking, secret_scan, simhash, substring_dedup, winnowing
+from tessera.llm import embedding_dedup, language_id, packing, piece_bpe, quality_rules, quote_linking, secret_scan, simhash, substring_dedup, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *numbers, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_rules.classify(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -66,7 +72,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_piece_bpe, op3_secret_scan, op5_substring_dedup, op6_embedding_dedup, op7_quote_linking, op8_language_id, op9_winnowing, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_piece_bpe, op3_secret_scan, op4_quality_rules, op5_substring_dedup, op6_embedding_dedup, op7_quote_linking, op8_language_id, op9_winnowing, op10_packing)}
 
 
 OP6_SQL = """

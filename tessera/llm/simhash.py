@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each group the one with the smallest id stays, with all columns.
 
-    Rows that repeat that id stay with it.
+    Rows that repeat that id stay with it, and so do all rows with a null id, which nothing can tell apart.
     """
     kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    return docs.join(kept, id_col, "left_semi").unionAll(docs.where(F.col(id_col).isNull()))
