@@ -78,8 +78,8 @@ def queries() -> dict[str, Query]:
 OP6_SQL = """
 WITH RECURSIVE good AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR isnan(e) OR isinf(e))) = 0
-    AND len(list_filter(embedding, e -> e <> 0)) > 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
 ), pairs AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
   WHERE list_cosine_similarity(x.v, y.v) >= 0.95
