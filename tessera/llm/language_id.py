@@ -12,21 +12,24 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 4000
-MODEL_SIZE = 200_000
+MODEL_SIZE = 100_000
 LONGEST = 5
 UNKNOWN = "und"
-#: Tokens that a task remembers; it starts anew when there are more.
-REMEMBERED = 200_000
+#: Tokens that a worker remembers; it starts anew when there are more.
+REMEMBERED = 400_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -41,15 +44,17 @@ class Model:
     """tables[n]: the n-grams (n = 0: words) with a log likelihood for each of `languages`."""
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]] = field(default_factory=list)
+    tables: list[dict[str, tuple[float, ...]]] = field(default_factory=list)
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> tuple[float, ...]:
+        """A known word's own figures, or the mean of its longest known n-grams'."""
         if (known := self.tables[0].get(word)) is not None:
             return known
         for n in range(LONGEST, 0, -1):
-            if known := [x for g in _grams(word, n) if (x := self.tables[n].get(g)) is not None]:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages))
+            get = self.tables[n].get
+            if known := [x for x in map(get, _grams(word, n)) if x is not None]:
+                return tuple([sum(column) / len(known) for column in zip(*known)]) if len(known) > 1 else known[0]
+        return (0.0,) * len(self.languages)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, model_size: int = MODEL_SIZE) -> Model:
@@ -84,51 +89,83 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     model = Model(sorted(languages), [{} for _ in range(LONGEST + 1)])
     sizes = Counter(n for n, _ in found)
     for (n, gram), k in found.items():
-        model.tables[n][gram] = np.array([math.log((k[x] + 0.5) / (sums[x, n] + 0.5 * sizes[n])) for x in model.languages])
-    for table in model.tables:  # only differences between languages count
-        for gram, x in table.items():
-            table[gram] = x - x.max()
+        logs = [math.log((k[x] + 0.5) / (sums[x, n] + 0.5 * sizes[n])) for x in model.languages]
+        model.tables[n][gram] = tuple(x - max(logs) for x in logs)  # only differences between languages count
     return model
 
 
+class Scorer:
+    """Sums of a text's words.  The figures of a token (what stands between spaces) are made once and remembered."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.width = model, len(model.languages)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((4096, self.width + 1))
+
+    def learn(self, tokens: list[str]) -> None:
+        if len(self.known) + len(tokens) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) + len(tokens), self.width + 1))])
+        none, word, find = (0.0,) * self.width, self.model.word, _WORDS.findall
+        for token in tokens:
+            words = find(token)
+            if len(words) == 1:
+                figures = word(words[0])
+            else:
+                figures = tuple(map(sum, zip(*map(word, words), strict=True))) if words else none
+            row = self.known[token] = len(self.known)
+            self.rows[row] = (*figures, len(words))
+
+    def score(self, text: str | None) -> tuple[str, float]:
+        tokens = (text or "").lower().split()
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        if new := set(tokens) - self.known.keys():
+            self.learn(list(new))
+        sums = self.rows[np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
+        if sums[-1] == 0 or not self.width:
+            return UNKNOWN, 0.0
+        best = int(sums[:-1].argmax())
+        return self.model.languages[best], float(1 / np.exp(sums[:-1] - sums[best]).sum())
+
+
+class _Shared:
+    """A broadcast model; equal for lru_cache if the name is."""
+
+    def __init__(self, name: str, model: Broadcast) -> None:
+        self.name, self.model = name, model
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Shared) and other.name == self.name
+
+    @property
+    def value(self) -> Model:
+        return self.model.value
+
+
+@lru_cache(maxsize=1)
+def _scorer(shared: _Shared) -> Scorer:
+    """One scorer of the last model for each Python worker, so that what it knows outlasts a task."""
+    return Scorer(shared.value)
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """struct<lang, score> for the text of each row; `und` and 0 if it is null or has no letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most model_size entries
-    state: dict = {}
+    shared = _Shared(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model))  # at most model_size entries
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def language(texts: pa.Array) -> pa.Array:
-        model = shared.value
-        width = len(model.languages)
-
-        class Tokens(dict):
-            def __missing__(self, token: str) -> int:
-                words = _WORDS.findall(token)
-                row = len(self)
-                if row == len(state["rows"]):
-                    state["rows"] = np.concatenate([state["rows"], np.zeros_like(state["rows"])])
-                state["rows"][row, :width] = sum((model.word(w) for w in words), np.zeros(width))
-                state["rows"][row, width] = len(words)
-                self[token] = row
-                return row
-
-        langs, scores = [], []
-        for x in texts:
-            if not state or len(state["tokens"]) > REMEMBERED:
-                state.update(tokens=Tokens(), rows=np.zeros((1024, width + 1)))
-            tokens = (x.as_py() or "").lower().split()
-            at = np.fromiter(map(state["tokens"].__getitem__, tokens), np.int64, len(tokens))
-            sums = state["rows"][at].sum(axis=0)
-            if sums[width] == 0 or not width:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-            else:
-                best = int(sums[:width].argmax())
-                langs.append(model.languages[best])
-                scores.append(float(1 / np.exp(sums[:width] - sums[best]).sum()))
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        score = _scorer(shared).score
+        found = [score(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
 
-    return language(F.col(text_col))
+    # So marked, it is not run once more for each filter on what it gives.
+    return language.asNondeterministic()(F.col(text_col))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -22,15 +22,14 @@ def test_cases(spark):
 
 
 def test_backoff_uses_longest_known_gram():
-    import numpy as np
-
     tables = [{} for _ in range(6)]
-    tables[3]["abc"] = np.array([0.0, -1.0])
-    tables[1]["a"] = np.array([-1.0, 0.0])
+    tables[3]["abc"], tables[3]["bc$"], tables[1]["a"] = (0.0, -1.0), (0.0, -3.0), (-1.0, 0.0)
     model = L.Model(["x", "y"], tables)
-    assert model.word("abc").tolist() == [0.0, -1.0]
-    assert model.word("a").tolist() == [-1.0, 0.0]
-    assert model.word("qq").tolist() == [0.0, 0.0]
+    assert model.word("abc") == (0.0, -2.0)
+    assert model.word("a") == (-1.0, 0.0)
+    assert model.word("qq") == (0.0, 0.0)
+    tables[0]["abc"] = (-5.0, 0.0)
+    assert model.word("abc") == (-5.0, 0.0)
 
 
 def test_nothing_to_learn_from(spark):
