@@ -31,7 +31,13 @@ UNKNOWN = "und"
 #: Tokens that a worker remembers; it starts anew when there are more.
 REMEMBERED = 400_000
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str) -> list[str]:
+    """Runs of letters.  The pattern takes other numerals (fractions, Roman ones) for letters: alone they are no word."""
+    found = _RUNS.findall(text)
+    return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -68,7 +74,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             found: Counter = Counter()
             words: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.update((lang, w) for w in _WORDS.findall(text.lower()))
+                words.update((lang, w) for w in _words(text.lower()))
             for (lang, word), k in words.items():
                 found[lang, 0, word] += k
                 for n in range(1, LONGEST + 1):
@@ -108,7 +114,7 @@ class Scorer:
     def learn(self, tokens: list[str]) -> None:
         if len(self.known) + len(tokens) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) + len(tokens), self.width + 1))])
-        none, word, find = (0.0,) * self.width, self.model.word, _WORDS.findall
+        none, word, find = (0.0,) * self.width, self.model.word, _words
         for token in tokens:
             words = find(token)
             if len(words) == 1:

@@ -11,11 +11,11 @@ def test_held_out_accuracy_on_whole_table(spark, sf_dir):
 
 def test_cases(spark):
     rows = [(k, "der hund und die katze", "de") for k in range(20)] + [(k + 20, "the dog and the cat", "en") for k in range(20)]
-    rows += [(50, None, "de"), (51, "", None), (52, "12 34 !!", None), (None, "der hund", None), (53, "hunden", None), (53, "thee", "x" * 3)]
+    rows += [(50, None, "de"), (51, "", None), (52, "12 34 !!", None), (54, "½ Ⅷ ²", None), (None, "der hund", None), (53, "hunden", None), (53, "thee", "x" * 3)]
     found = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert len(found) == len(rows)
     by = {(r.doc_id, r.text): r for r in found}
-    for key in ((50, None), (51, ""), (52, "12 34 !!")):
+    for key in ((50, None), (51, ""), (52, "12 34 !!"), (54, "½ Ⅷ ²")):
         assert (by[key].lang_pred, by[key].score) == ("und", 0.0)
     assert by[None, "der hund"].lang_pred == "de" and by[None, "der hund"].held_out
     assert by[53, "hunden"].lang_pred == "de"
