@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,16 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Texts without nulls in runs of about `size` bytes, at least one in each."""
+    if not len(texts):
+        return
+    number = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // size
+    starts = [0, *(np.nonzero(np.diff(number))[0] + 1).tolist(), len(texts)]
+    for i, j in zip(starts, starts[1:], strict=False):
+        yield texts.slice(i, j - i)
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 

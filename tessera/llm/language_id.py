@@ -20,16 +20,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import slices
+
 TRAIN_DOCS = 4000
 MODEL_SIZE = 100_000
 LONGEST = 5
 UNKNOWN = "und"
 #: Tokens that a worker remembers; it starts anew when there are more.
 REMEMBERED = 400_000
+#: New tokens that are worked on together, and bytes of text.
+TOGETHER = 20_000
+SLICE = 4 << 20
 
 _RUNS = re.compile(r"[^\W\d_]+")
 
@@ -73,8 +79,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         for b in batches:
             found: Counter = Counter()
             words: Counter = Counter()
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.update((lang, w) for w in _words(text.lower()))
+            for lang, text in zip(b.column(0).to_pylist(), pc.utf8_lower(b.column(1)).to_pylist(), strict=True):
+                words.update((lang, w) for w in _words(text))
             for (lang, word), k in words.items():
                 found[lang, 0, word] += k
                 for n in range(1, LONGEST + 1):
@@ -100,41 +106,97 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     return model
 
 
+def _gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n code points."""
+    found = np.zeros(max(0, len(points) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            found = (found ^ points[k : k + len(found)]) * np.uint64(0x9E3779B97F4A7C15)
+            found ^= found >> np.uint64(29)
+    return found
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
 class Scorer:
-    """Sums of a text's words.  The figures of a token (what stands between spaces) are made once and remembered."""
+    """Sums of texts' words.  The figures of a token (what stands between spaces) are made once and remembered."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.width = model, len(model.languages)
+        self.grams = []
+        for n in range(1, LONGEST + 1):  # of each length: sorted hashes, and figures in the same order
+            table = model.tables[n]
+            hashes = _gram_hashes(_points("".join(table)), n)[::n]
+            order = np.argsort(hashes)
+            self.grams.append((hashes[order], np.array(list(table.values()), np.float64).reshape(len(table), self.width)[order]))
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((4096, self.width + 1))
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """Figures of words, each as the model gives them one at a time."""
+        get = self.model.tables[0].get
+        given = list(map(get, words))
+        out = np.zeros((len(words), self.width))
+        there = [k for k, x in enumerate(given) if x is not None]
+        out[there] = np.array([given[k] for k in there], np.float64).reshape(len(there), self.width)
+        unseen = np.array([k for k, x in enumerate(given) if x is None], np.int64)
+        for n in range(LONGEST, 0, -1):
+            if not len(unseen):
+                break
+            own = [words[k] for k in unseen.tolist()]
+            points = _points("".join(own) if n == 1 else "^" + "$^".join(own) + "$")
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) + (0 if n == 1 else 2)
+            owner = np.repeat(np.arange(len(own)), sizes)[: max(0, len(points) - n + 1)]
+            hashes, (known, figures) = _gram_hashes(points, n), self.grams[n - 1]
+            if not len(known):
+                continue
+            within = np.arange(len(owner)) + n <= np.cumsum(sizes)[owner]
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = np.nonzero(within & (known[at] == hashes))[0]
+            number = np.bincount(owner[hit], minlength=len(own))
+            done = number > 0
+            for k in range(self.width):
+                sums = np.bincount(owner[hit], figures[at[hit], k], len(own))
+                out[unseen[done], k] = sums[done] / number[done]
+            unseen = unseen[~done]
+        return out
+
     def learn(self, tokens: list[str]) -> None:
         if len(self.known) + len(tokens) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) + len(tokens), self.width + 1))])
-        none, word, find = (0.0,) * self.width, self.model.word, _words
-        for token in tokens:
-            words = find(token)
-            if len(words) == 1:
-                figures = word(words[0])
-            else:
-                figures = tuple(map(sum, zip(*map(word, words), strict=True))) if words else none
-            row = self.known[token] = len(self.known)
-            self.rows[row] = (*figures, len(words))
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        tokens = (text or "").lower().split()
+        for k in range(0, len(tokens), TOGETHER):
+            part = tokens[k : k + TOGETHER]
+            split = list(map(_words, part))
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            figures = self.words([w for own in split for w in own])
+            owner, first = np.repeat(np.arange(len(part)), sizes), len(self.known)
+            for c in range(self.width):
+                self.rows[first : first + len(part), c] = np.bincount(owner, figures[:, c], len(part))
+            self.rows[first : first + len(part), -1] = sizes
+            self.known.update(zip(part, range(first, first + len(part))))
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts without nulls: the number of the language, -1 for none, and the score."""
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.forget()
-        if new := set(tokens) - self.known.keys():
-            self.learn(list(new))
-        sums = self.rows[np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
-        if sums[-1] == 0 or not self.width:
-            return UNKNOWN, 0.0
-        best = int(sums[:-1].argmax())
-        return self.model.languages[best], float(1 / np.exp(sums[:-1] - sums[best]).sum())
+        self.learn([t for t in distinct if t not in self.known])
+        row = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+        sums = np.stack([np.bincount(owner, self.rows[row, c], len(texts)) for c in range(self.width + 1)], axis=1)
+        none = sums[:, -1] == 0
+        if not self.width:
+            return np.full(len(texts), -1), np.zeros(len(texts))
+        best = sums[:, :-1].argmax(axis=1)
+        share = 1 / np.exp(sums[:, :-1] - sums[np.arange(len(texts)), best][:, None]).sum(axis=1)
+        return np.where(none, -1, best), np.where(none, 0.0, share)
 
 
 class _Shared:
@@ -166,9 +228,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def language(texts: pa.Array) -> pa.Array:
-        score = _scorer(shared).score
-        found = [score(x.as_py()) for x in texts]
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
+        scorer = _scorer(shared)
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        found = [scorer.score(part) for part in slices(texts, SLICE)]
+        best, share = (np.concatenate([np.empty(0, kind), *x]) for kind, x in zip((np.int64, np.float64), zip(*found) if found else ((), ())))
+        names = np.array([*scorer.model.languages, UNKNOWN], object)[best]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(share)], ["lang", "score"])
 
     # So marked, it is not run once more for each filter on what it gives.
     return language.asNondeterministic()(F.col(text_col))

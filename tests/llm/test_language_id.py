@@ -32,6 +32,31 @@ def test_backoff_uses_longest_known_gram():
     assert model.word("abc") == (-5.0, 0.0)
 
 
+def test_words_together_as_one_by_one():
+    import random
+
+    rng = random.Random(3)
+    draw = lambda most: "".join(rng.choice("abcde") for _ in range(rng.randint(1, most)))
+    words = [draw(9) for _ in range(400)]
+    tables = [{} for _ in range(6)]
+    tables[0] = {w: (rng.random(), rng.random()) for w in words[:40]}
+    for w in words[40:70]:
+        for n in range(1, 6):
+            for g in L._grams(w, n)[:1]:
+                tables[n][g] = (rng.random(), rng.random())
+    model = L.Model(["x", "y"], tables)
+    scorer = L.Scorer(model)
+    for w, figures in zip(words, scorer.words(words)):
+        assert figures.tolist() == L.np.array(model.word(w)).tolist() or abs(figures - L.np.array(model.word(w))).max() < 1e-12
+    texts = ["", "1 2", " ".join(words[:50]), words[0] + "-" + words[1] + "  " + words[2], words[60]]
+    best, share = scorer.score(L.pa.array(texts))
+    assert best[:2].tolist() == [-1, -1] and share[:2].tolist() == [0, 0]
+    for k in (2, 3, 4):
+        sums = L.np.sum([model.word(w) for w in L._words(texts[k])], axis=0)
+        assert best[k] == sums.argmax()
+        assert abs(share[k] - 1 / L.np.exp(sums - sums.max()).sum()) < 1e-9
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in L.identify(docs).collect()] == [("und", 0.0)]
