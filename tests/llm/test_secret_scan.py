@@ -63,3 +63,102 @@ def test_query_on_whole_table(spark):
         base = plain_base(texts[r.doc_id])
         assert r.base_sha256 == sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in base) for k in S.KINDS[:3])
+
+
+def plain_lexed(text):
+    """Name-literal pairs read one character after another; values are lists of spans, copied from name to name."""
+    run, start = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_$"), 0
+    inner, values, found, i, n = run | set("0123456789.-"), {}, set(), 0, len(text)
+
+    def over(i, signs):
+        while i < n and text[i] in signs:
+            i += 1
+        return i
+
+    def atom(i):
+        if i < n and text[i] in "\"'":
+            j = i + 1
+            while j < n and text[j] not in (text[i], "\n"):
+                j += 1
+            return j + 1 if j < n and text[j] == text[i] else None
+        return over(i, inner - {"-"}) if i < n and text[i] in run else None
+
+    def chain(i):
+        """Ends of a value after one atom, two, and so on; each with the atoms so far."""
+        parts, ends = [], []
+        while (j := atom(i)) is not None:
+            parts = [*parts, (i, j)]
+            ends.append((j, parts))
+            i = over(j, " \t")
+            if i >= n or text[i] != "+":
+                break
+            i = over(i + 1, " \t")
+        return ends
+
+    while start < n:
+        if text[start] not in inner:
+            start += 1
+            continue
+        i = over(start, "0123456789.-")
+        end = over(start, inner)
+        start, name = end, text[i:end]
+        if not name:
+            continue
+        j = end + (end < n and text[end] in "\"'")
+        j += j < n and text[j] == "]"
+        j = over(j, " \t")
+        sign = next((s for s in (":=", "=>", "=", ":") if text.startswith(s, j)), None)
+        if sign is None:
+            continue
+        j = over(j + len(sign), " \t")
+        end, parts = next(((e, p) for e, p in reversed(chain(j)) if e >= n or text[e] not in (inner | set("+/=")) - {"$", "."}), (None, None))
+        if end is None:
+            end = j
+            while end < n and not text[end].isspace() and text[end] not in "\"',;<>":
+                end += 1
+            if end == j:
+                continue
+            if atom(j) is not None:
+                parts, k = [], j
+                while k < end:
+                    m = atom(k)
+                    parts += [(k, m)] if m is not None else []
+                    k = m if m is not None else k + 1
+        literals = []
+        for a, b in parts or ():
+            literals += [(a + 1, b - 1)] if text[a] in "\"'" else values.get(text[a:b], [])
+        if not literals and not set(text[j:end]) & set("\"'(){}"):
+            literals = [(j, end)]
+        values[name] = literals
+        joined = [text[a:b] for a, b in literals]
+        if S.name_weight(name) * S.strength(joined) >= S.THRESHOLD:
+            found.update(literals)
+        start = end
+    return {("lexed", a, b) for a, b in found if b > a}
+
+
+def test_lexed_spans_of_whole_table(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts += ["pwd: a.b.c/d+e", "x='Zk8-qP2x' pwd=x+y/z", "1.--auth_pwd=Zk8-qP2xa!", 'a=b="Zk8-qP2xRt" pwd = "Zk8" + a', "pwd=\"open\npwd='Zk8-qP2x'+\"uR7\"", "k.pwd']:=Zk8-qP2xRt+b"]
+    assert all(set(S.lexed_spans(t)) == plain_lexed(t) for t in texts if any(w in t.lower() for w in S._BEFORE_LEXING))
+    assert sum(bool(S.lexed_spans(t)) for t in texts) > 10
+
+
+def test_all_literals_of_a_long_constant():
+    text = "C = " + " + ".join(f'"Zk8-qP2x{i}"' for i in range(100)) + "\nD = C + C\nsigning_key = D\n"
+    assert len(lexed(text)) == 100
+
+
+@pytest.mark.parametrize("word", ["a" * 1_000_000, "a." * 500_000, "- " * 500_000, " " * 1_000_000, 'a="' * 300_000, "9" * 1_000_000, "key=" * 100_000])
+def test_long_words_take_no_time(word):
+    import time
+
+    began = time.perf_counter()
+    S.secret_spans("key = 1\n" + word)
+    assert time.perf_counter() - began < 5
+
+
+def test_constants_that_double_and_chains():
+    doubled = 'a0="Zk8-qP2x"\n' + "\n".join(f"a{i}=a{i - 1}+a{i - 1}" for i in range(1, 3000)) + "\npwd=a2999"
+    assert lexed(doubled) == ["Zk8-qP2x"]
+    assert len(lexed('auth_token=auth_token+"Zk8-qP2x"\n' * 2000)) == 2000
