@@ -3,20 +3,22 @@
 A text gets a space in front, and spaces become the piece mark.  No piece holds a mark after another
 character, and none a newline, so a text is merged word by word (spaces and newlines, and what follows).  Merging keeps
 an agenda of candidate merges, best score first and leftmost of equals; a candidate is skipped for good if a
-keyed hash of the seed, the word, its variant, and the candidate's place and length falls below the dropout.
-The variant of a word comes from a keyed hash of the document's text and the word's number, so that one word is
-segmented in up to `variants` ways under one seed; the same seed always gives the same ids.  What is
-no piece in the end becomes bytes, and so does the mark itself where a text holds it: decoding gives back
-every text.
+hash of its place and length, keyed by the seed, the document's text and the number of the word in it, falls
+below the dropout.  So every occurrence of a word draws anew, and the same seed always gives the same ids.
+What is no piece in the end becomes bytes, and so does the mark itself where a text holds it: decoding gives
+back every text.
+
+Only skipped candidates that the agenda would have merged change anything.  A worker therefore remembers, for
+each word, the merges that are made if nothing is skipped, and from there, for each first merge that is skipped,
+those made without it, and so on: `Paths`.  An occurrence draws for the merges of its path alone.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,12 @@ from tessera.llm.common import slices
 MARK = "▁"
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 2
-#: A worker remembers twice so many words of each variant: when there are more, those not met of late are forgotten.
-REMEMBERED = 200_000
+#: A worker remembers so many paths of words; when there are more, it starts anew (what is remembered changes no result).
+REMEMBERED = 500_000
 #: Words of so many characters are merged together, in arrays; longer ones one at a time.
 SHORT = 24
+#: Occurrences that draw together.
+TOGETHER = 1 << 16
 #: Texts are worked on in runs of about so many bytes, and ids in runs of as many.
 SLICE = 4 << 20
 #: No candidate begins here; where a rank stands in 64 bits; the bits below it, and those of a place.
@@ -42,6 +45,16 @@ _FAR = np.int64(1 << 16)
 _ABOVE = 37
 _BELOW = np.int64((1 << _ABOVE) - 1)
 _PLACE = np.int64(31 << 32)
+#: What a key is combined with, for each place << 6 | length.
+_SPREAD = np.arange(32, dtype=np.uint64).repeat(64) * np.uint64(0x9E3779B1) + np.tile(np.arange(64, dtype=np.uint64), 32) * np.uint64(0x85EBCA77)
+
+
+
+def drawn(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """What candidates (place << 6 | length) draw with these keys: 32 bits each."""
+    with np.errstate(over="ignore"):
+        return ((keys ^ _SPREAD[codes]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(29)) & np.uint64(0xFFFFFFFF)
+
 
 _WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 
@@ -141,38 +154,19 @@ class Pieces:
             i = after[i]
         return out
 
-    def segment_many(self, words: list[str], dropout: float, keys: np.ndarray) -> list[bytes]:
-        """Ids (int32, as bytes) of many words, each as `segment` gives them with its key."""
-        out: list[bytes] = [b""] * len(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        points = self.characters[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        begins = np.cumsum(sizes) - sizes
-        easy = (sizes <= SHORT) & (sizes > 0)
-        for k in np.nonzero(~easy)[0].tolist():
-            out[k] = np.array(self.segment(words[k], dropout, int(keys[k])), np.int32).tobytes()
-        order = np.nonzero(easy)[0]
-        order = order[np.argsort(sizes[order], kind="stable")]
-        for at in range(0, len(order), 4096):  # words of like length, so that little is padded
-            rows = order[at : at + 4096]
-            ids, counts = self._merged(points, begins[rows], sizes[rows], dropout, keys[rows])
-            if (ids < 0).any():
-                ids, counts = self._with_bytes(ids, counts)
-            data, step = ids.tobytes(), 0
-            for k, n in zip(rows.tolist(), (4 * counts).tolist(), strict=True):
-                out[k] = data[step : step + n]
-                step += n
-        return out
-
-    def _merged(self, points: np.ndarray, begins: np.ndarray, sizes: np.ndarray, dropout: float, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of some words one after another, and how many each has.  Each round merges, in every word, the
-        best candidate; the columns after it move up."""
-        width, limit = int(sizes.max()), np.uint64(int(dropout * (1 << 32)))
+    def merge_many(
+        self, points: np.ndarray, begins: np.ndarray, sizes: np.ndarray, dropped: np.ndarray | None = None, keys: np.ndarray | None = None, limit: np.uint64 = np.uint64(0)
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some words (ranges of code points): all ids one after another, how many each word has, and the same of the
+        merges made, in order (place << 6 | length).  Candidates in `dropped` (a row for each word) are skipped, and those
+        that draw below the limit with the word's key.
+        Each round merges, in every word, the best candidate; the columns after it move up."""
+        width = int(sizes.max())
         column = np.arange(width)
         # A symbol, above it its place, above that the rank of the candidate that begins there: the least of a row is
         # the best candidate, leftmost of equals.
         symbols = np.where(column < sizes[:, None], points[np.minimum(begins[:, None] + column, len(points) - 1)], np.int32(-1))
         state = _FAR << _ABOVE | column.astype(np.int64) << 32 | symbols.view(np.uint32).astype(np.int64)
-        keys = keys.astype(np.uint64)
 
         def propose(r: np.ndarray, c: np.ndarray) -> None:
             """Ranks of the candidates that begin at columns c of rows r."""
@@ -181,31 +175,47 @@ class Pieces:
             pair = np.where((left >= 0) & (right >= 0), left << 15 | right, np.int32(-1))
             found = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             there = self.pairs[found] == pair
-            if limit:
-                length = (self.lengths[np.maximum(left, 0)] + self.lengths[np.maximum(right, 0)]).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    mixed = (keys[r] ^ ((plain >> 32).astype(np.uint64) * np.uint64(0x9E3779B1) + length * np.uint64(0x85EBCA77))) * np.uint64(0xC2B2AE3D27D4EB4F)
-                there &= ((mixed >> np.uint64(29)) & np.uint64(0xFFFFFFFF)) >= limit
+            if dropped is not None or keys is not None:
+                code = (plain >> 32) << 6 | self.lengths[np.maximum(left, 0)] + self.lengths[np.maximum(right, 0)]
+                there &= (dropped[rows[r]] != code[:, None]).all(axis=1) if keys is None else drawn(keys[rows[r]], code) >= limit
             state[r, c] = np.where(there, self.pair_ranks[found], _FAR) << _ABOVE | plain
 
-        propose(*np.nonzero(column[:-1] < sizes[:, None] - 1))
         out, rows = np.full((len(sizes), width), np.int32(-1)), np.arange(len(sizes))
+        steps, turn = np.zeros((len(sizes), max(0, width - 1)), np.int16), 0
+        propose(*np.nonzero(column[:-1] < sizes[:, None] - 1))
         while len(rows):
             best = state.argmin(axis=1)
             ranks = state[np.arange(len(rows)), best] >> _ABOVE
             on = ranks < _FAR
             out[rows[~on], : state.shape[1]] = state[~on].astype(np.int32)
-            rows, state, best, keys = rows[on], state[on], best[on], keys[on]
+            rows, state, best = rows[on], state[on], best[on]
             if not len(rows):
                 break
             each = np.arange(len(rows))
-            state[each, best] = state[each, best] & _PLACE | self.by_rank[ranks[on]] | _FAR << _ABOVE
+            merged = self.by_rank[ranks[on]]
+            place = state[each, best] & _PLACE
+            steps[rows, turn] = place >> 32 << 6 | self.lengths[merged]
+            turn += 1
+            state[each, best] = place | merged | _FAR << _ABOVE
             # What comes after a merged pair moves up by one column.
             state = state[np.arange(state.shape[1]) != best[:, None] + 1].reshape(len(rows), state.shape[1] - 1)
             inner, after = best < state.shape[1] - 1, best > 0
             propose(np.concatenate([each[inner], each[after]]), np.concatenate([best[inner], best[after] - 1]))
-        there = out != -1
-        return out[there], there.sum(axis=1)
+        there, made = out != -1, steps > 0
+        ids, counts = out[there], there.sum(axis=1)
+        if (ids < 0).any():
+            ids, counts = self._with_bytes(ids, counts)
+        return ids, counts, steps[made], made.sum(axis=1)
+
+    def merged(self, words: list[str], dropped: np.ndarray | None = None, keys: np.ndarray | None = None, limit: np.uint64 = np.uint64(0)) -> Iterator[tuple[np.ndarray, ...]]:
+        """`merge_many` of words of like length, so that little is padded; the words' numbers come first."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = self.characters[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begins = np.cumsum(sizes) - sizes
+        order = np.argsort(sizes, kind="stable")
+        for at in range(0, len(order), 4096):
+            rows = order[at : at + 4096]
+            yield rows, *self.merge_many(points, begins[rows], sizes[rows], None if dropped is None else dropped[rows], None if keys is None else keys[rows], limit)
 
     def _with_bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same with the byte ids of characters that are no piece."""
@@ -229,44 +239,114 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class _Known:
-    """Ids (as bytes) of the words of one variant, and those of the generation before."""
-
-    def __init__(self) -> None:
-        self.now: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def look_up(self, words: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """Ids of distinct words; `learn` makes those that are not known."""
-        if len(self.now) > REMEMBERED:
-            self.older, self.now = self.now, {}
-        found = list(map(self.now.get, words))
-        gaps = [k for k, ids in enumerate(found) if ids is None]
-        new = []
-        for k in gaps:
-            found[k] = self.older.get(words[k])
-            if found[k] is None:
-                new.append(k)
-        for k, ids in zip(new, learn([words[k] for k in new]), strict=True):
-            found[k] = ids
-        self.now.update((words[k], found[k]) for k in gaps)
-        return found
+class _Pool:
+    """An array that grows."""
+
+    def __init__(self, kind: type) -> None:
+        self._data, self.size = np.zeros(1024, kind), 0
+
+    @property
+    def data(self) -> np.ndarray:
+        return self._data[: self.size]
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self._data):
+            self._data = np.concatenate([self.data, np.zeros(max(end, 2 * len(self._data)) - self.size, self._data.dtype)])
+        self._data[self.size : end] = more
+        self.size = end
+
+
+class Paths:
+    """Segmentations of short words.  A path is a word and candidates that are skipped: it has the ids that come out,
+    and the merges still to be drawn for (those made after the last skipped one, in order)."""
+
+    def __init__(self, vocabulary: Pieces) -> None:
+        self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.branches: dict[int, int] = {}  # path << 5 | number of the merge that is skipped: the path without it
+        self.words: list[str] = []
+        self.skipped: list[tuple[int, ...]] = []
+        self.ids, self.merges = _Pool(np.int32), _Pool(np.int16)
+        self.first_id, self.n_ids, self.first_merge, self.n_merges, self.n_done = (_Pool(np.int64) for _ in range(5))
+
+    def _add(self, words: list[str], skipped: list[tuple[int, ...]], done: np.ndarray) -> np.ndarray:
+        """New paths; `done` merges of each are no longer to be drawn for."""
+        first = len(self.words)
+        self.words += words
+        self.skipped += skipped
+        most = max(map(len, skipped), default=0)
+        dropped = np.array([[*s, *[-1] * (most - len(s))] for s in skipped], np.int64) if most else None
+        places = [np.zeros(len(words), np.int64) for _ in range(4)]
+        for rows, ids, n_ids, merges, n_merges in self.vocabulary.merged(words, dropped=dropped):
+            for place, what in zip(places, (self.ids.size + np.cumsum(n_ids) - n_ids, n_ids, self.merges.size + np.cumsum(n_merges) - n_merges + done[rows], n_merges - done[rows]), strict=True):
+                place[rows] = what
+            self.ids.add(ids)
+            self.merges.add(merges)
+        for pool, place in zip((self.first_id, self.n_ids, self.first_merge, self.n_merges), places, strict=True):
+            pool.add(place)
+        self.n_done.add(done)
+        return np.arange(first, len(self.words))
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """The paths of distinct words that skip nothing."""
+        found = list(map(self.roots.get, words))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        new = [words[k] for k in gaps]
+        made = self._add(new, [()] * len(new), np.zeros(len(new), np.int64)).tolist()
+        self.roots.update(zip(new, made, strict=True))
+        for k, x in zip(gaps, made, strict=True):
+            found[k] = x
+        return np.array(found, np.int64)
+
+    def without(self, path: np.ndarray, merge: np.ndarray) -> np.ndarray:
+        """For each path the one that skips the merge of this number as well."""
+        keys, which = np.unique(path << 5 | merge, return_inverse=True)
+        listed = keys.tolist()
+        found = list(map(self.branches.get, listed))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        if gaps:
+            path, merge = keys[gaps] >> 5, keys[gaps] & 31
+            codes = self.merges.data[self.first_merge.data[path] + merge].tolist()
+            before = [self.skipped[p] for p in path.tolist()]
+            # Merges made before the skipped one are made again, and were drawn for.
+            done = self.n_done.data[path] + merge
+            made = self._add([self.words[p] for p in path.tolist()], [(*s, c) for s, c in zip(before, codes, strict=True)], done).tolist()
+            for k, x in zip(gaps, made, strict=True):
+                found[k] = self.branches[listed[k]] = x
+        return np.array(found, np.int64)[which]
+
+    def draw(self, path: np.ndarray, keys: np.ndarray, limit: np.uint64) -> np.ndarray:
+        """The paths that occurrences with these keys end at."""
+        path, left = path.copy(), np.arange(len(path))
+        while len(left := left[self.n_merges.data[path[left]] > 0]):
+            hits, which_merge = [], []
+            for at in range(0, len(left), TOGETHER):
+                part = left[at : at + TOGETHER]
+                own = path[part]
+                number = self.n_merges.data[own]
+                begins = np.cumsum(number) - number
+                which = np.repeat(np.arange(len(own)), number)
+                code = self.merges.data[np.arange(len(which)) + (self.first_merge.data[own] - begins)[which]]
+                hit = np.nonzero(drawn(keys[part][which], code) < limit)[0]
+                owner = which[hit]
+                first = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(hit)]  # the first merge that is skipped
+                hits.append(part[owner[first]])
+                which_merge.append((hit - begins[owner])[first])
+            left = np.concatenate(hits)
+            path[left] = self.without(path[left], np.concatenate(which_merge))
+        return path
 
 
 class Encoder:
-    """Encodes texts; the ids of a word in a variant are made once and remembered."""
+    """Encodes texts; paths of words are made once and remembered."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int) -> None:
+    def __init__(self, path: str, dropout: float, seed: int) -> None:
         self.vocabulary, self.dropout, self.seed = pieces(path), dropout, seed
-        self.known = [_Known() for _ in range(variants if dropout else 1)]
-
-    def learn(self, words: list[str], variant: int) -> list[bytes]:
-        """Words without the space before them, but for those that begin with a space or newline."""
-        whole = [w if w[0] in " \n" else " " + w for w in words]
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, map(str.encode, whole), repeat(self.seed)), np.uint64, len(words))
-        with np.errstate(over="ignore"):
-            keys = (keys ^ np.uint64(variant)) * np.uint64(0x9E3779B97F4A7C15)
-        return self.vocabulary.segment_many(whole, self.dropout, keys ^ (keys >> np.uint64(32)))
+        self.paths = Paths(self.vocabulary)
 
     @staticmethod
     def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -293,26 +373,46 @@ class Encoder:
         """Ids of texts without nulls, one after another, and how many each text has."""
         words, counts = self._split(texts)
         coded = words.dictionary_encode()
-        distinct, n = coded.dictionary.to_pylist(), np.int64(len(self.known))
-        # The variant of each word: a hash of its number keyed by seed and text.
-        keys = np.fromiter((xxhash.xxh64_intdigest(t.encode(), self.seed) | 1 for t in texts.to_pylist()), np.uint64, len(texts))
+        # Words come without the space before them, but for those that begin with a space or newline.
+        distinct = [w if w[0] in " \n" else " " + w for w in coded.dictionary.to_pylist()]
+        which = coded.indices.to_numpy().astype(np.int64)
         ends = np.cumsum(counts)
-        number = np.arange(1, len(words) + 1, dtype=np.int64) - np.repeat(ends - counts, counts)
+        keys = self.keys(texts, counts)
+        if len(self.paths.words) > REMEMBERED:
+            self.paths.forget()
+        limit = np.uint64(int(self.dropout * (1 << 32)))
+        # 0: one at a time, as it is long; 1: met once here and not remembered, merged with its own draws; 2: by paths.
+        kind = np.where(np.bincount(which, minlength=len(distinct)) > 1, 2, 1)
+        kind[[k for k in np.nonzero(kind == 1)[0].tolist() if distinct[k] in self.paths.roots]] = 2
+        kind[np.fromiter(map(len, distinct), np.int64, len(distinct)) > SHORT] = 0
+        path = np.full(len(distinct), -1)
+        path[kind == 2] = self.paths.of_words([distinct[k] for k in np.nonzero(kind == 2)[0].tolist()])
+        long, once, near = (np.nonzero(kind[which] == k)[0] for k in range(3))
+        chosen = path[which[near]]
+        if limit:
+            chosen = self.paths.draw(chosen, keys[near], limit)
+        first, sizes = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        first[near], sizes[near] = self.paths.first_id.data[chosen], self.paths.n_ids.data[chosen]
+        data, size = [self.paths.ids.data], self.paths.ids.size
+        for rows, ids, n_ids, *_ in self.vocabulary.merged([distinct[k] for k in which[once].tolist()], keys=keys[once] if limit else None, limit=limit):
+            first[once[rows]], sizes[once[rows]] = size + np.cumsum(n_ids) - n_ids, n_ids
+            data.append(ids)
+            size += len(ids)
+        for k in long.tolist():
+            data.append(np.array(self.vocabulary.segment(distinct[which[k]], self.dropout, int(keys[k])), np.int32))
+            first[k], sizes[k] = size, len(data[-1])
+            size += len(data[-1])
+        place = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        return np.concatenate(data)[place], sums[ends] - sums[ends - counts]
+
+    def keys(self, texts: pa.Array, counts: np.ndarray) -> np.ndarray:
+        """A key for every word of texts: its number, keyed by seed and text."""
+        own = np.fromiter((xxhash.xxh64_intdigest(t.encode(), self.seed) | 1 for t in texts.to_pylist()), np.uint64, len(texts))
+        number = np.arange(1, int(counts.sum()) + 1, dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
         with np.errstate(over="ignore"):
-            mixed = number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) * np.repeat(keys, counts)
-        slot = coded.indices.to_numpy().astype(np.int64) + len(distinct) * ((mixed >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
-        used = np.nonzero(np.bincount(slot, minlength=len(distinct) * n))[0]
-        found: list[bytes] = []
-        for variant, known in enumerate(self.known):
-            own = used[(used >= variant * len(distinct)) & (used < (variant + 1) * len(distinct))] - variant * len(distinct)
-            found += known.look_up([distinct[k] for k in own.tolist()], lambda new, v=variant: self.learn(new, v))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        place = np.zeros(len(distinct) * n, np.int64)
-        place[used] = np.arange(len(used))
-        chosen = place[slot]
-        ids = _gathered(np.frombuffer(b"".join(found), np.int32), sizes, chosen)
-        sums = np.concatenate([[0], np.cumsum(sizes[chosen])])
-        return ids, sums[ends] - sums[ends - counts]
+            mixed = number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) * np.repeat(own, counts)
+            return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def _gathered(data: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -323,17 +423,17 @@ def _gathered(data: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.nda
 
 
 @cache
-def encoder(path: str, dropout: float, seed: int, variants: int) -> Encoder:
+def encoder(path: str, dropout: float, seed: int) -> Encoder:
     """One for each Python worker, so that what it knows outlasts a task."""
-    return Encoder(path, dropout, seed, variants)
+    return Encoder(path, dropout, seed)
 
 
-def encode(text: Column, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> Column:
+def encode(text: Column, model: str, dropout: float = DROPOUT, seed: int = SEED) -> Column:
     """array<int>: piece ids of a text; none for null and empty texts.  `model` is a path every executor can read."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        run = encoder(model, dropout, seed, variants).encode
+        run = encoder(model, dropout, seed).encode
         found = [run(part) for part in slices(pc.fill_null(texts.cast(pa.string()), ""), SLICE)]
         counts = np.concatenate([np.empty(0, np.int64), *(n for _, n in found)])
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
