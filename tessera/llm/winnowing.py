@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-The k-grams of a text are runs of `K` lower-case words.  Of every `WINDOW` neighbouring k-grams the one with
-the least hash is chosen, the rightmost of equals, and kept with its position; so two texts that share
-WINDOW + K - 1 words in a row share a chosen k-gram.  Hash and position stand in one long (hash above,
+The k-grams of a text are runs of `K` code points, A-Z in lower case.  Their hashes are polynomials of the code
+points' hashes, as rolling hashes are: no k-gram is hashed anew, but the hash of 2 m code points is made of those of
+m and the m after them, for all positions at once.  Of every `WINDOW` neighbouring k-grams the one with the least
+hash is chosen, the rightmost of equals, and kept with its position; so two texts that share WINDOW + K - 1
+code points in a row share a chosen k-gram, whatever their script.  Hash and position stand in one long (hash above,
 inverted position below), whose plain minimum is the rule; minima over windows are built by doubling.
 """
 
@@ -11,40 +13,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 4
-WINDOW = 16
-POSITION_BITS = 24
+#: Powers of two.
+K = 16
+WINDOW = 32
+#: A text that has so many code points before a place tells all windows that end before it.
+CONTEXT = K + WINDOW - 2
+PRIME = (1 << 31) - 1
+BASE = 1_000_003
+#: No string has more bytes than positions that fit.
+POSITION_BITS = 31
 LAST = (1 << POSITION_BITS) - 1
-HASH_MASK = (1 << (63 - POSITION_BITS)) - 1
 #: Documents are dealt into at most so many ranges of ids, and their bounds come from so many ids for each.
 RANGES = 16384
 IDS_PER_RANGE = 50
 
+_UPPER, _LOWER = ("".join(chr(c + k) for k in range(26)) for c in (65, 97))
 
-def with_winnows(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """`df` with `out`: the chosen k-grams in order, each hash << POSITION_BITS | LAST - position.
 
-    A text of fewer than K words is one k-gram; a null text or one without words has none.
+def with_winnows(df: DataFrame, text: str, out: str, offset: str = "0") -> DataFrame:
+    """`df` with `out`: the chosen k-grams of a text (SQL) in order, each hash << POSITION_BITS | LAST - position.
+
+    A text of fewer than K code points is one k-gram; a null or empty text has none.  `offset` (SQL) is added to positions.
     """
-    words, grams = f"_{out}_words", f"_{out}_grams"
-    df = df.withColumn(words, F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    packed = F.expr(
-        f"transform(sequence(0, greatest(size({words}) - {K}, 0)), i -> "
-        f"shiftleft(xxhash64(slice({words}, i + 1, {K})) & {HASH_MASK}L, {POSITION_BITS}) | ({LAST} - i))"
-    )
-    df = df.withColumn(grams, F.when(F.size(words) > 0, packed).otherwise(F.array().cast("array<long>"))).drop(words)
+    grams = f"_{out}_grams"
+    # Four bytes for each code point, so that any of them is found at once; a lambda's variable, so that it is made once.
+    points = f"encode(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), 'UTF-32')"
+    hashed = f"transform(array({points}), b -> transform(sequence(0, greatest(length(b) div 4 - 1, 0)), i -> pmod(xxhash64(substring(b, i * 4 + 1, 4)), {PRIME}L)))[0]"
+    df = df.withColumn(grams, F.expr(hashed))
+    step, factor = 1, BASE
+    while step < K:
+        df = df.withColumn(grams, F.expr(f"zip_with({grams}, {_from(grams, step)}, (a, b) -> (a * {factor}L + b) % {PRIME}L)"))
+        step, factor = 2 * step, factor * factor % PRIME
+    short = f"array(pmod(xxhash64(encode(translate({text}, '{_UPPER}', '{_LOWER}'), 'UTF-8')), {PRIME}L))"
+    whole = f"CASE WHEN length({text}) >= {K} THEN slice({grams}, 1, length({text}) - {K - 1}) WHEN length({text}) > 0 THEN {short} ELSE array() END"
+    packed = f"transform({whole}, (h, i) -> shiftleft(h, {POSITION_BITS}) | ({LAST}L - i - {offset}))"
+    df = df.withColumn(grams, F.expr(packed))
     step = 1
     while step < WINDOW:  # the minimum from each position on over `step` grams, then over twice as many
-        shifted = F.slice(grams, F.lit(step + 1), F.greatest(F.size(grams) - step, F.lit(0)))
-        df = df.withColumn(grams, F.zip_with(grams, shifted, lambda a, b: F.least(a, b)))
+        df = df.withColumn(grams, F.expr(f"zip_with({grams}, {_from(grams, step)}, (a, b) -> least(a, b))"))
         step *= 2
     windows = F.slice(grams, F.lit(1), F.greatest(F.size(grams) - (WINDOW - 1), F.lit(1)))
     return df.withColumn(out, F.array_distinct(windows)).drop(grams)
 
 
+def _from(array: str, step: int) -> str:
+    """What stands `step` places further on."""
+    return f"slice({array}, {step + 1}, greatest(size({array}) - {step}, 0))"
+
+
+def _position(p: str) -> str:
+    return f"({LAST}L - ({p} & {LAST}L))"
+
+
+def chosen_before(winnows: str, end: str) -> Column:
+    """Of the chosen k-grams of a text those that its first `end` code points (SQL, more than CONTEXT) tell.
+
+    What the last of their windows chose is the least of the k-grams that it holds, and earlier windows chose none
+    that stands after that.
+    """
+    last = f"array_min(filter({winnows}, p -> {_position('p')} BETWEEN {end} - {CONTEXT + 1} AND {end} - {K}))"
+    return F.expr(f"transform(array({last}), m -> filter({winnows}, p -> {_position('p')} <= {_position('m')}))[0]")
+
+
 def printed(winnows: str) -> Column:
     """position:hash of each chosen k-gram, space-joined."""
-    return F.expr(f"array_join(transform({winnows}, p -> concat({LAST} - (p & {LAST}), ':', lower(hex(shiftright(p, {POSITION_BITS}))))), ' ')")
+    return F.expr(f"array_join(transform({winnows}, p -> concat({_position('p')}, ':', lower(hex(shiftright(p, {POSITION_BITS}))))), ' ')")
 
 
 def _hashes(winnows: str) -> Column:
@@ -112,12 +145,24 @@ def edit_and_compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = with_next(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("third", F.expr("CAST(n_chars div 3 AS INT)"))
-    rows = rows.withColumn("edited", F.expr("concat(left(text, CAST(n_chars AS INT) - third), left(next_text, third))"))
-    rows = with_winnows(rows.drop("text", "next_text"), "edited", "edited_winnows")
+    rows = rows.withColumn("stays", F.expr("CAST(n_chars AS INT) - third")).withColumn("put", F.expr("left(next_text, third)"))
+    # Only windows that reach beyond what stays are new: they lie in the last CONTEXT code points of it and what is put there.
+    rows = rows.withColumns({
+        "edited_sha256": F.expr("sha2(concat(left(text, stays), put), 256)"),
+        "begin": F.expr(f"greatest(stays - {CONTEXT}, 0)"),
+        "tail": F.expr(f"concat(right(left(text, stays), least(stays, {CONTEXT})), put)"),
+    }).drop("text", "next_text")
+    rows = with_winnows(rows, "tail", "tail_winnows", "begin")
+    rows = rows.withColumn(
+        "edited_winnows",
+        F.when(F.col("begin") == 0, F.col("tail_winnows"))
+        .when(F.col("put") == "", chosen_before("winnows", "stays"))
+        .otherwise(F.array_union(chosen_before("winnows", "stays"), "tail_winnows")),
+    )
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         printed("winnows").alias("fingerprint"),
         printed("edited_winnows").alias("edited_fingerprint"),
         likeness("winnows", "edited_winnows").alias("near_edited"),

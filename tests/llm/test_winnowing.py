@@ -6,15 +6,24 @@ import xxhash
 from tessera.llm import winnowing as W
 
 
+def signed_mod(h):
+    return (h - (1 << 64) if h >> 63 else h) % W.PRIME
+
+
 def plain_winnow(text):
-    """[(position, hash)] by the definition, one window after another."""
-    words = [w.decode() for w in (text or "").lower().encode().split()]
-    hashes = []
-    for i in range(max(1, len(words) - W.K + 1) if words else 0):
-        h = 42
-        for w in words[i : i + W.K]:
-            h = xxhash.xxh64_intdigest(w.encode(), h)
-        hashes.append(h & W.HASH_MASK)
+    """[(position, hash)] by the definition: a hash that rolls over the code points, then one window after another."""
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    hashes, power = [], pow(W.BASE, W.K - 1, W.PRIME)
+    if 0 < len(text) < W.K:
+        hashes = [signed_mod(xxhash.xxh64_intdigest(text.encode(), 42))]
+    else:
+        h, points = 0, [signed_mod(xxhash.xxh64_intdigest(ord(c).to_bytes(4, "big"), 42)) for c in text]
+        for i, c in enumerate(points):
+            if i >= W.K:
+                h -= points[i - W.K] * power
+            h = (h * W.BASE + c) % W.PRIME
+            if i >= W.K - 1:
+                hashes.append(h)
     chosen = []
     for i in range(max(1, len(hashes) - W.WINDOW + 1) if hashes else 0):
         window = hashes[i : i + W.WINDOW]
@@ -47,7 +56,7 @@ def test_matches_definition_on_whole_table(spark, sf_dir):
 
 
 @pytest.mark.parametrize("docs", [
-    [(5, "one"), (5, "two words"), (5, None), (None, "a b c d e f"), (7, ""), (9, "ä ö ü " * 40), (2, "x " * 3000), (9, "same same")],
+    [(5, "one"), (5, "two words"), (5, None), (None, "a b c d e f"), (7, ""), (9, "ä Ö ÜB " * 40), (2, "x " * 3000), (3, "Ab😀İΣς" * 30), (4, "q" * 15), (6, "語" * 16), (8, "0123456789" * 7 + "z"), (10, "The quick brown fox jumps over the lazy dog, again and again and once more"), (9, "same same")],
     [(1, "alone with itself here and there")],
     [(3, None), (2, "")],
 ])
@@ -57,8 +66,14 @@ def test_cases(spark, docs):
 
 
 def test_shared_run_shares_a_gram_and_empty_table(spark):
-    shared = [f"s{i}" for i in range(W.WINDOW + W.K - 1)]
-    docs = [(1, " ".join(["a", "b", *shared, "c"])), (2, " ".join([f"x{i}" for i in range(50)] + shared + ["y"] * 9))]
+    shared = "".join(chr(0x4E00 + 7 * i) for i in range(W.WINDOW + W.K - 1))
+    docs = [(1, "一" * 40 + shared + "丁" * 3), (2, "x" * 50 + shared + "y" * 9)]
     rows = W.edit_and_compare(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert all(r.near_next > 0 for r in rows)
     assert W.edit_and_compare(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_edited_texts_of_every_length(spark):
+    docs = [(k, "".join(chr(97 + (k * k + 3 * i * i + i // 7) % 26) for i in range(k))) for k in range(150)]
+    rows = spark.createDataFrame([*docs, (200, "")], "doc_id long, text string")
+    assert sorted(map(tuple, W.edit_and_compare(rows).collect())) == sorted(plain_rows([*docs, (200, "")]))
