@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share, named by spark.checkpoint.dir; a local one only where that is unset and all
+    executors are on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
 
 
@@ -28,6 +31,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has (names are the same whatever their case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
     """Texts without nulls in runs of about `size` bytes, at least one in each."""
     if not len(texts):

@@ -4,19 +4,18 @@ A word that the model knows counts with its log frequency in each language.  An
 its character n-grams, five characters first and then ever fewer, until some n-gram is known.  The language
 with the greatest sum wins, and the score is its share of the likelihood.
 
-The model is fitted on a bounded sample of labelled rows (`train_docs`); counting is done by Spark, and the
-model holds at most `model_size` words and n-grams.
+The model is fitted on a bounded sample of labelled rows (about `train_docs` of each language, so that frequent
+languages crowd no rare one out); counting is done by Spark.  The model holds every word and n-gram that the
+sample has at least `least` times, all languages together.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import fresh, slices
 
-TRAIN_DOCS = 4000
-MODEL_SIZE = 100_000
+TRAIN_DOCS = 1000
+LEAST = 2
 LONGEST = 5
 UNKNOWN = "und"
 #: Tokens that a worker remembers; it starts anew when there are more.
@@ -51,29 +50,35 @@ def _grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-@dataclass
 class Model:
-    """tables[n]: the n-grams (n = 0: words) with a log likelihood for each of `languages`."""
+    """tables[n]: the n-grams (n = 0: words), each with its row of figures[n]: a log likelihood for each of `languages`."""
 
-    languages: list[str]
-    tables: list[dict[str, tuple[float, ...]]] = field(default_factory=list)
+    def __init__(self, languages: list[str], grams: list[list[str]], figures: list[np.ndarray]) -> None:
+        self.languages, self.figures = languages, figures
+        self.tables = [{g: k for k, g in enumerate(own)} for own in grams]
 
     def word(self, word: str) -> tuple[float, ...]:
         """A known word's own figures, or the mean of its longest known n-grams'."""
         if (known := self.tables[0].get(word)) is not None:
-            return known
+            return tuple(self.figures[0][known].tolist())
         for n in range(LONGEST, 0, -1):
             get = self.tables[n].get
             if known := [x for x in map(get, _grams(word, n)) if x is not None]:
-                return tuple([sum(column) / len(known) for column in zip(*known)]) if len(known) > 1 else known[0]
+                return tuple(self.figures[n][known].mean(axis=0).tolist())
         return (0.0,) * len(self.languages)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, model_size: int = MODEL_SIZE) -> Model:
-    """Counts words and n-grams of a sample of about `train_docs` of the labelled rows, picked by a hash of the id."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, train_docs / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, least: int = LEAST) -> Model:
+    """Counts words and n-grams of a sample of about `train_docs` of the labelled rows of each language, picked by a
+    hash of the id.  The model has a column for each language."""
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = dict(rows.groupBy("lang").count().collect())  # a row for each language
+    languages = sorted(sizes)
+    if not languages:
+        return Model([], [[] for _ in range(LONGEST + 1)], [np.zeros((0, 0))] * (LONGEST + 1))
+    most = 1 << 60
+    below = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, train_docs / n) * most))])
+    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(most)) < below[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,21 +94,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             lang, n, gram = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(gram, pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "n", "gram", "k"])
 
-    counted = picked.select(F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(count, "lang string, n int, gram string, k long")
-    top = counted.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "n", "lang", "gram").limit(model_size)
-    found: dict[tuple[int, str], Counter] = {}
-    sums: Counter = Counter()
-    languages = set()
-    for lang, n, gram, k in top.collect():  # at most model_size rows
-        found.setdefault((n, gram), Counter())[lang] += k
-        sums[lang, n] += k
-        languages.add(lang)
-    model = Model(sorted(languages), [{} for _ in range(LONGEST + 1)])
-    sizes = Counter(n for n, _ in found)
-    for (n, gram), k in found.items():
-        logs = [math.log((k[x] + 0.5) / (sums[x, n] + 0.5 * sizes[n])) for x in model.languages]
-        model.tables[n][gram] = tuple(x - max(logs) for x in logs)  # only differences between languages count
-    return model
+    counted = picked.select("lang", "text").mapInArrow(count, "lang string, n int, gram string, k long")
+    each = counted.groupBy("n", "gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("k")).otherwise(0)).alias(f"k{i}") for i, x in enumerate(languages)])
+    kept = each.where(reduce(lambda a, b: a + b, [F.col(f"k{i}") for i in range(len(languages))]) >= least).orderBy("n", "gram").toArrow()  # of the sample alone
+    numbers = np.stack([kept[f"k{i}"].to_numpy() for i in range(len(languages))], axis=1).astype(np.float64)
+    grams, figures = [], []
+    for n in range(LONGEST + 1):
+        own = kept["n"].to_numpy() == n
+        grams.append(kept["gram"].filter(pa.array(own)).to_pylist())
+        k = numbers[own]
+        logs = np.log((k + 0.5) / (k.sum(axis=0) + 0.5 * max(1, len(k))))
+        figures.append(logs - logs.max(axis=1, keepdims=True) if len(k) else logs)  # only differences between languages count
+    return Model(languages, grams, figures)
 
 
 def _gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
@@ -127,10 +129,9 @@ class Scorer:
         self.model, self.width = model, len(model.languages)
         self.grams = []
         for n in range(1, LONGEST + 1):  # of each length: sorted hashes, and figures in the same order
-            table = model.tables[n]
-            hashes = _gram_hashes(_points("".join(table)), n)[::n]
+            hashes = _gram_hashes(_points("".join(model.tables[n])), n)[::n]
             order = np.argsort(hashes)
-            self.grams.append((hashes[order], np.array(list(table.values()), np.float64).reshape(len(table), self.width)[order]))
+            self.grams.append((hashes[order], model.figures[n][order]))
         self.forget()
 
     def forget(self) -> None:
@@ -143,7 +144,7 @@ class Scorer:
         given = list(map(get, words))
         out = np.zeros((len(words), self.width))
         there = [k for k, x in enumerate(given) if x is not None]
-        out[there] = np.array([given[k] for k in there], np.float64).reshape(len(there), self.width)
+        out[there] = self.model.figures[0][[given[k] for k in there]].reshape(len(there), self.width)
         unseen = np.array([k for k, x in enumerate(given) if x is None], np.int64)
         for n in range(LONGEST, 0, -1):
             if not len(unseen):
@@ -224,7 +225,7 @@ def _scorer(shared: _Shared) -> Scorer:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """struct<lang, score> for the text of each row; `und` and 0 if it is null or has no letter."""
-    shared = _Shared(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model))  # at most model_size entries
+    shared = _Shared(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model))  # grows with the sample alone
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def language(texts: pa.Array) -> pa.Array:
@@ -251,5 +252,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     to learn from.  Rows with a null id count as held out.  Columns of these names are replaced.
     """
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col, id_col, **bounds)
-    out = docs.withColumn("held_out", held_out(id_col)).withColumn("_found", predict(docs, model, text_col))
-    return out.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
+    found = fresh("found", docs)
+    out = docs.withColumns({"held_out": held_out(id_col), found: predict(docs, model, text_col)})
+    return out.withColumns({"lang_pred": F.col(found)["lang"], "score": F.col(found)["score"]}).drop(found)
