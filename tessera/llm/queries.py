@@ -125,7 +125,8 @@ WITH messages AS (
   GROUP BY id, conv_id, turn, role
 )
 SELECT o.conv_id, o.turn, o.role, o.text, CAST(o.quote_depth AS INTEGER) AS quote_depth, o.n_quoted,
-       coalesce(r.n_linked, 0) AS n_linked, coalesce(r.found, p.turn) AS reply_to
+       coalesce(r.n_linked, 0) AS n_linked, coalesce(r.found, p.turn) AS reply_to,
+       CASE WHEN o.conv_id IS NOT NULL THEN row_number() OVER (PARTITION BY o.conv_id ORDER BY coalesce(r.found, p.turn) NULLS FIRST, o.turn NULLS LAST, o.role NULLS FIRST, o.text NULLS FIRST) - 1 END AS position
 FROM own o LEFT JOIN replies r ON o.conv_id = r.conv_id AND o.turn = r.turn
 LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations) p ON o.conv_id = p.conv_id AND o.turn = p.turn + 1
 """

@@ -5,14 +5,16 @@ parsed into runs of one level.  A quoted passage is a run, or a single line of i
 case, single spaces), hashed, and joined to the first message of the conversation whose own words hold the
 same passage.  A message replies to the latest message that its outermost linked quotes come from; one without
 linked quotes replies to the turn before it.  The texts returned are without quotes and the lines that
-introduce them.
+introduce them, and messages are numbered in reply order: after what they reply to, with the other replies to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import saved
+
 # Quote marks at the start of a line, and a line that introduces a quote.
 QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 INTRODUCES = r"(?i)(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
@@ -64,9 +66,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     Columns: the conversation, turn and role, text (own words, trimmed), quote_depth (levels of quotes), n_quoted
     (quoted lines), n_linked (quoted passages found in earlier messages), reply_to (a turn, or null where there
-    is nothing to reply to).  Within a conversation, order by reply_to and turn, nulls first, reads each message's
-    replies together.  Null texts count as empty.  A null conversation or turn links with nothing.  Messages
-    that repeat a turn get the same links, those of all of them together.
+    is nothing to reply to), position (from 0 within the conversation, by reply_to, nulls first, then turn, nulls last,
+    role and text, nulls first: every message comes after the one it replies to).  Null texts count as empty.  A null
+    conversation or turn links with nothing, and a null conversation has no positions.  Messages that repeat a turn get
+    the same links, those of all of them together.
     """
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("at"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = parsed(rows)
@@ -83,11 +86,37 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.coalesce(F.array_max(F.transform("_lines", lambda x: x["level"])), F.lit(0)).alias("quote_depth"),
         F.size(F.filter("_lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"),
     )
-    return (
-        own.join(replies, ["conv", "at"], "left")
-        .join(turns, ["conv", "at"], "left")
-        .select(
-            F.col("conv").alias(conv_col), F.col("at").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col), "quote_depth", "n_quoted",
-            F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("found", "previous").alias("reply_to"),
-        )
+    replied = own.join(replies, ["conv", "at"], "left").join(turns, ["conv", "at"], "left")
+    replied = replied.withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "reply_to": F.coalesce("found", "previous")}).drop("found", "previous")
+    return _numbered(replied).select(
+        F.col("conv").alias(conv_col), F.col("at").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col),
+        "quote_depth", "n_quoted", "n_linked", "reply_to", "position",
     )
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with their position in the conversation.
+
+    All rows are sorted at once, so that a long conversation lies in many partitions.  In each of those its rows
+    are counted, and what lies in earlier ones is added; only a partition's first conversation can have begun before.
+    """
+    order = [F.asc_nulls_first("reply_to"), F.asc_nulls_last("at"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
+    ordered = saved(rows.orderBy("conv", *order).withColumn("_n", F.monotonically_increasing_id()), "ordered")
+    ordered = ordered.withColumn("_part", F.shiftright("_n", 33))
+    counts = ordered.where("conv IS NOT NULL").groupBy("conv", "_part").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    begun = counts.select("conv", "_part", before.alias("_before")).where("_before > 0")  # a row for each partition at most
+    own = F.row_number().over(Window.partitionBy("conv", "_part").orderBy("_n")) - 1
+    numbered = ordered.withColumn("_own", F.when(F.col("conv").isNotNull(), own)).join(F.broadcast(begun), ["conv", "_part"], "left")
+    return numbered.withColumn("position", (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("long"))
+
+
+def conversations(linked: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", size: int = 256) -> DataFrame:
+    """What `link_quotes` gives as conversations: the conversation, part, and messages in reply order.
+
+    A part has `size` messages (the last one fewer), so that no conversation is too long for a row; messages of a null
+    conversation have no part.
+    """
+    message = F.struct("position", F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), "reply_to")
+    part = F.floor(F.col("position") / size).cast("long").alias("part")
+    return linked.where("position IS NOT NULL").groupBy(conv_col, part).agg(F.sort_array(F.collect_list(message)).alias("messages"))

@@ -39,6 +39,12 @@ def plain(messages):
         own = [bare(x) for k, x in enumerate(lines) if not level(x) and not (re.search(Q.INTRODUCES, x) and k + 1 < len(lines) and level(lines[k + 1]))]
         reply = max(links)[1] if links else turn - 1 if turn is not None and (conv, turn - 1) in by_turn else None
         out.append((conv, turn, role, "\n".join(own).strip(" "), max(map(level, lines)), sum(level(x) > 0 for x in lines), len(links), reply))
+    low = lambda x: (x is not None, x)
+    out.sort(key=lambda r: (low(r[0]), low(r[7]), (r[1] is None, r[1]), low(r[2]), r[3]))
+    seen = {}
+    for k, r in enumerate(out):
+        seen[r[0]] = seen.get(r[0], -1) + 1
+        out[k] = (*r, None if r[0] is None else seen[r[0]])
     return out
 
 
@@ -74,3 +80,41 @@ def test_no_python_in_plan(spark):
     frame = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
     plan = Q.link_quotes(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_against_sql_where_messages_quote(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+
+    rows = [(c, t, r, x) for c, t, r, x in MESSAGES if c != 4]
+    for c in range(10, 60):  # each message quotes one or two earlier ones
+        said = [f"word{c} number{t} of conversation {c * t}\nsecond line {t}" for t in range(12)]
+        rows += [(c, t, "user" if t % 2 else "assistant", "\n".join([*(f"> {x}" for x in said[(t * c) % t].split("\n")), f">> {said[t - 1]}".split("\n")[0], said[t]]) if t else said[0]) for t in range(12)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = connection.sql(queries.OP7_SQL)
+    got = queries.op7_quote_linking(spark, str(tmp_path)).select(expected.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(expected.fetchall(), key=repr)
+    assert sum(r.n_linked > 0 for r in got) > 500
+    assert sum(r.reply_to is not None and r.reply_to != r.turn - 1 for r in got) > 300
+
+
+def test_conversations_in_reply_order(spark):
+    rows = [(1, 0, "user", "first"), (1, 1, "assistant", "second"), (1, 2, "user", "third"), (1, 3, "assistant", "> first\nfourth"), (None, 0, "user", "x")]
+    linked = Q.link_quotes(spark.createDataFrame(rows * 1, "conv_id long, turn long, role string, text string"))
+    found = {(r.conv_id, r.part): [m.turn for m in r.messages] for r in Q.conversations(linked, size=3).collect()}
+    assert found == {(1, 0): [0, 1, 3], (1, 1): [2]}
+
+
+def test_a_conversation_over_many_partitions(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, id, 7) AS conv_id", "id AS turn", "'user' AS role", "concat('m', id) AS text")
+    found = Q.link_quotes(rows.repartition(7)).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.conv_id, []).append((r.position, r.reply_to is not None, r.reply_to or 0, r.turn))
+    for own in by.values():
+        own.sort()
+        assert [p for p, *_ in own] == list(range(len(own))) and [x[1:] for x in own] == sorted(x[1:] for x in own)
