@@ -3,9 +3,10 @@
 Unit vectors at cosine c are at distance sqrt(2 - 2 c).  The vectors are projected on their leading principal
 directions, which never lengthens a distance, and sorted by the grid cells (as wide as the greatest distance
 of a link) that the projections fall in.  The sequence is joined with itself by recursion: two intervals of it
-are halved further only if the boxes around their projections are near enough.  The upper levels of the
-recursion are joins of a table of interval pairs with the table of boxes; the lowest are done within the tasks
-that compare two blocks.
+are parted further only if the boxes around their projections are near enough.  The upper levels of the
+recursion, down to blocks, are joins of a table of interval pairs with the table of boxes.  For two blocks that are
+near, the boxes of their leaves are compared next, and only leaves that have a near one on the other side are sent to
+the task that compares the two blocks, each once; the lowest levels are done there.
 
 The principal directions are fitted on a bounded sample (`fit_rows`): they decide how much is skipped, never
 what is found.  Cosines are computed in double precision, for all pairs that are not skipped.
@@ -18,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, joined_labels, saved
@@ -27,9 +29,10 @@ from tessera.llm.common import components, joined_labels, saved
 COSINE = 0.95
 FIT_ROWS = 20_000
 LEADING = 8
-#: Vectors in a block, and in the intervals that are compared outright.
-BLOCK = 4096
-LEAF = 512
+#: Vectors in a block, of which a task holds two; in a leaf; and in the intervals that are compared outright.
+BLOCK = 16384
+LEAF = 256
+OUTRIGHT = 512
 #: An interval has at most so many (a power of two) below it.
 FAN_BITS = 4
 #: Boxes this much further apart than a link may be are distant in spite of rounding.
@@ -50,21 +53,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def directions(vectors: DataFrame, fit_rows: int) -> dict[int, np.ndarray]:
-    """For each length of vectors in a sample of about `fit_rows`: the leading principal directions, as columns."""
-    share = min(1.0, fit_rows / max(1, vectors.count()))
-    rows = vectors.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(2 * fit_rows).collect()
-    by_size: dict[int, list] = {}
-    for (v,) in rows:
-        by_size.setdefault(len(v), []).append(v)
-    found = {}
-    for size, own in by_size.items():
-        x = unit(np.array(own, dtype=np.float64))
-        found[size] = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :LEADING]
-    return found
-
-
-def grid_ordered(classes: DataFrame, width: float, leading: dict[int, np.ndarray], block: int) -> DataFrame:
-    """Blocks of the sorted sequence: part, number, size (of a vector), nodes, copies, vectors (as bytes), box."""
+    """For each length of vectors in a sample of about `fit_rows`: the leading principal directions, as columns.
+    The driver gets a few matrices of inner products, never vectors."""
+    share, most = min(1.0, fit_rows / max(1, vectors.count())), 1 << 60
+    sample = vectors.where(F.pmod(F.xxhash64("v"), F.lit(most)) < int(share * most)).select("v").limit(2 * fit_rows).repartition(4)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            sizes = np.asarray(b.column(0).value_lengths())
+            for size in np.unique(sizes).tolist():
+                x = unit(_matrix(b.column(0).filter(pa.array(sizes == size))).astype(np.float64))
+                sums[size] = sums.get(size, 0) + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], names=["size", "sums"])
+
+    total: dict[int, np.ndarray] = {}
+    for size, sums in sample.mapInArrow(products, "size int, sums binary").collect():
+        total[size] = total.get(size, 0) + np.frombuffer(sums).reshape(size, size)
+    return {size: np.linalg.eigh(m)[1][:, ::-1][:, :LEADING] for size, m in total.items()}
+
+
+def grid_ordered(classes: DataFrame, width: float, leading: dict[int, np.ndarray], leaf: int) -> DataFrame:
+    """Leaves of the sorted sequence: part, number, begin (vectors before it in the part), count, size (of a vector),
+    nodes, copies, vectors (as bytes), box."""
 
     def project(x: np.ndarray) -> np.ndarray:
         size = x.shape[1]
@@ -81,14 +92,14 @@ def grid_ordered(classes: DataFrame, width: float, leading: dict[int, np.ndarray
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(own), size, np.int32)), cell], names=["node", "copies", "v", "size", "cell"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, begin = TaskContext.get().partitionId(), 0, 0
         waiting: pa.Table | None = None
 
         def made(t: pa.Table) -> pa.RecordBatch:
             x = _matrix(t["v"].combine_chunks())
             p = project(x)
             columns = {
-                "part": part, "number": number, "size": x.shape[1], "nodes": t["node"].to_numpy().tobytes(), "copies": t["copies"].to_numpy().tobytes(),
+                "part": part, "number": number, "begin": begin, "count": len(t), "size": x.shape[1], "nodes": t["node"].to_numpy().tobytes(), "copies": t["copies"].to_numpy().tobytes(),
                 "vectors": np.ascontiguousarray(x).tobytes(), "lo": p.min(0).tolist(), "hi": p.max(0).tolist(),
             }
             return pa.RecordBatch.from_pylist([columns], schema=kinds)
@@ -97,20 +108,20 @@ def grid_ordered(classes: DataFrame, width: float, leading: dict[int, np.ndarray
             waiting = pa.Table.from_batches([b]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([b])])
             while len(waiting):
                 sizes = waiting["size"].to_numpy()
-                own = min(int(np.searchsorted(sizes, sizes[0], "right")), block)
-                if own == len(waiting) and own < block:
+                own = min(int(np.searchsorted(sizes, sizes[0], "right")), leaf)
+                if own == len(waiting) and own < leaf:
                     break
                 yield made(waiting.slice(0, own))
-                number += 1
+                number, begin = number + 1, begin + own
                 waiting = waiting.slice(own)
         if waiting is not None and len(waiting):
             yield made(waiting)
 
-    kinds = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("size", pa.int32()), ("nodes", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
+    kinds = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("begin", pa.int64()), ("count", pa.int64()), ("size", pa.int32()), ("nodes", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
     kind = classes.schema["v"].dataType.simpleString()
     placed = classes.select("node", "copies", "v").mapInArrow(cells, f"node long, copies long, v {kind}, size int, cell array<int>")
     ordered = placed.orderBy("size", "cell", "node")
-    return ordered.mapInArrow(blocks, f"part long, number long, size int, nodes binary, copies binary, vectors binary, {BOX}")
+    return ordered.mapInArrow(blocks, f"part long, number long, begin long, count long, size int, nodes binary, copies binary, vectors binary, {BOX}")
 
 
 def near_intervals(boxes: DataFrame, reach: float) -> DataFrame:
@@ -152,9 +163,9 @@ def compare(x: np.ndarray, y: np.ndarray | None, p: np.ndarray, q: np.ndarray, w
         gap = np.maximum(0, np.maximum(p[a:b].min(0) - q[c:d].max(0), q[c:d].min(0) - p[a:b].max(0)))
         if (gap * gap).sum() > reach * reach:
             return
-        if b - a > LEAF or d - c > LEAF:
-            ab = [(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > LEAF else [(a, b)]
-            cd = [(c, (c + d) // 2), ((c + d) // 2, d)] if d - c > LEAF else [(c, d)]
+        if b - a > OUTRIGHT or d - c > OUTRIGHT:
+            ab = [(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > OUTRIGHT else [(a, b)]
+            cd = [(c, (c + d) // 2), ((c + d) // 2, d)] if d - c > OUTRIGHT else [(c, d)]
             for s in ab:
                 for t in cd:
                     visit(*s, *t)
@@ -185,7 +196,44 @@ def compare(x: np.ndarray, y: np.ndarray | None, p: np.ndarray, q: np.ndarray, w
     return degree[0], degree[1], label
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
+def numbered(leaves: DataFrame, block: int) -> DataFrame:
+    """`leaves` with their number in the whole sequence, and that of their block: runs of about `block` vectors."""
+    parts = leaves.groupBy("part").agg(F.sum("count").alias("vectors"), F.count("*").alias("leaves"))  # a row for each partition of the sort
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("vectors", "leaves")])
+    placed = leaves.join(F.broadcast(parts), "part")
+    return placed.withColumns({"leaf": F.col("leaves_before") + F.col("number"), "block": F.floor((F.col("vectors_before") + F.col("begin")) / block).cast("long")})
+
+
+def needed_leaves(pairs: DataFrame, leaves: DataFrame, reach: float) -> DataFrame:
+    """For pairs (a, b) of blocks: (a, b, right, leaf) for the leaves of a, or (right) b, that a leaf of the other is near."""
+    each = F.sort_array(F.collect_list(F.struct("leaf", "size", "lo", "hi")))
+    boxes = leaves.groupBy("block").agg(each.alias("l")).select("block", *[F.expr(f"transform(l, x -> x.{c})").alias(c) for c in ("leaf", "size")], *[F.expr(f"flatten(transform(l, x -> x.{c}))").alias(c) for c in ("lo", "hi")])
+    boxes = saved(boxes, "boxes")
+    one, two = (boxes.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("leaf", "size", "lo", "hi")]) for s in "ab")
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(len(batch)):
+                r = {name: batch.column(name)[k] for name in batch.schema.names}
+                a, b = r["a"].as_py(), r["b"].as_py()
+                leaf, size = ([r[f"{s}_{c}"].values.to_numpy() for s in "ab"] for c in ("leaf", "size"))
+                (a_lo, b_lo), (a_hi, b_hi) = ([r[f"{s}_{c}"].values.to_numpy().reshape(-1, LEADING) for s in "ab"] for c in ("lo", "hi"))
+                gap = np.maximum(0, np.maximum(a_lo[:, None] - b_hi[None], b_lo[None] - a_hi[:, None]))
+                near = ((gap * gap).sum(axis=2) <= reach * reach) & (size[0][:, None] == size[1][None])
+                for right in range(1 if a == b else 2):
+                    out.append((a, b, right, leaf[right][near.any(axis=1 - right)]))
+            counts = [len(x[3]) for x in out]
+            columns = [np.repeat(np.array([x[c] for x in out], np.int64), counts) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([np.empty(0, np.int64), *(x[3] for x in out)]))], names=["a", "b", "right", "leaf"])
+
+    return pairs.join(one, "a").join(two, "b").mapInArrow(needed, "a long, b long, right long, leaf long")
+
+
+def near_duplicates(
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, fit_rows: int = FIT_ROWS, block: int = BLOCK, leaf: int = LEAF
+) -> DataFrame:
     """Links at `cosine` or more: one row for every row of `vectors`.
 
     Columns: the id, n_links (other rows linked directly), component_id (the smallest id that links reach, the
@@ -199,32 +247,35 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = rows.where(usable).groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     basis = directions(classes, fit_rows)
-    ordered = saved(grid_ordered(classes, reach, basis, block), "blocks")
-    most = ordered.agg(F.max("number")).first()[0] or 0
-    ordered = ordered.withColumn("block", F.shiftleft("part", max(1, int(most).bit_length())) + F.col("number"))
-    pairs = near_intervals(ordered.select("block", "size", "lo", "hi"), reach)
-    leading_box = ["nodes", "copies", "vectors"]
-    one = ordered.select(F.col("block").alias("a"), "size", *[F.col(c).alias(f"a_{c}") for c in leading_box])
-    two = ordered.select(F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in leading_box])
+    leaves = saved(grid_ordered(classes, reach, basis, min(leaf, block)), "leaves")
+    leaves = numbered(leaves, block)
+    boxed = leaves.groupBy("block", "size").agg(*[f(F.col(c)[k]).alias(f"{c}{k}") for c, f in (("lo", F.min), ("hi", F.max)) for k in range(LEADING)])
+    boxed = saved(boxed.select("block", "size", *(F.array(*[f"{c}{k}" for k in range(LEADING)]).alias(c) for c in ("lo", "hi"))), "blocks")
+    needed = needed_leaves(near_intervals(boxed, reach), leaves.select("block", "leaf", "size", "lo", "hi"), reach)
     dtype = np.float32 if rows.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                r = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
-                size, same = r["size"], r["a"] == r["b"]
-                nodes = [np.frombuffer(r[f"{s}_nodes"], np.int64) for s in "ab"]
-                weights = [np.frombuffer(r[f"{s}_copies"], np.int64).astype(np.float64) for s in "ab"]
-                x, y = (unit(np.frombuffer(r[f"{s}_vectors"], dtype).reshape(-1, size).astype(np.float64)) for s in "ab")
-                known = basis.get(size, np.eye(size)[:, :LEADING])
-                left, right, label = compare(x, None if same else y, x @ known, y @ known, (weights[0], weights[1]), cosine, reach)
-                node, degree = (nodes[0], left) if same else (np.concatenate(nodes), np.concatenate([left, right]))
-                some = np.nonzero(degree)[0]
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]]), pa.array(degree[some].astype(np.int64))], names=["a", "b", "links"])
-
-    compared = pairs.join(one, "a").join(two, "b").repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "b")
-    found = saved(compared.mapInArrow(linked, "a long, b long, links long"), "found")
+    def linked(key: tuple, table: pa.Table) -> pa.Table:
+        same, found = key[0].as_py() == key[1].as_py(), []
+        table = table.sort_by([("size", "ascending"), ("leaf", "ascending")])
+        for size in np.unique(table["size"].to_numpy()).tolist():
+            sides = []
+            for right in range(1 if same else 2):
+                own = table.filter((pc.field("size") == size) & (pc.field("right") == right))
+                node, copies, flat = (np.frombuffer(b"".join(own[c].to_pylist()), kind) for c, kind in (("nodes", np.int64), ("copies", np.int64), ("vectors", dtype)))
+                sides.append((node, copies.astype(np.float64), unit(flat.reshape(-1, size).astype(np.float64))))
+            if min(len(side[0]) for side in sides) == 0:
+                continue
+            known = basis.get(size, np.eye(size)[:, :LEADING])
+            (n, w, x), (m, v, y) = sides[0], sides[-1]
+            left, right, label = compare(x, None if same else y, x @ known, y @ known, (w, v), cosine, reach)
+            node, degree = (n, left) if same else (np.concatenate([n, m]), np.concatenate([left, right]))
+            some = np.nonzero(degree)[0]
+            found.append(pa.table([node[some], node[label[some]], degree[some].astype(np.int64)], names=["a", "b", "links"]))
+        return pa.concat_tables([pa.table([pa.array([], pa.int64())] * 3, names=["a", "b", "links"]), *found])
+
+    # A group holds the leaves of two blocks, at most.
+    compared = needed.join(leaves.select("leaf", "size", "nodes", "copies", "vectors"), "leaf").groupBy("a", "b")
+    found = saved(compared.applyInArrow(linked, "a long, b long, links long"), "found")
     degrees = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = saved(components(found.select("a", "b")), "roots")
     renamed = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -37,12 +37,12 @@ def vectors():
     return [(int(k), rows[i]) for k, i in enumerate(order)] + [(None, rows[0]), (3, rows[1])]
 
 
-@pytest.mark.parametrize(("block", "leaf"), [(4096, 512), (16, 4)])
+@pytest.mark.parametrize(("block", "leaf"), [(4096, 512), (16, 4), (7, 30)])
 def test_matches_all_pairs(spark, monkeypatch, block, leaf):
-    monkeypatch.setattr(E, "LEAF", leaf)
+    monkeypatch.setattr(E, "OUTRIGHT", leaf)
     rows = vectors()
     frame = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "vec_id long, embedding array<double>, v int, node int")
-    found = E.near_duplicates(frame, block=block)
+    found = E.near_duplicates(frame, block=block, leaf=leaf)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(plain(rows), key=str)
 
 
@@ -60,3 +60,18 @@ def test_recursion_finds_all_links():
     y = E.unit(rng.normal(size=(700, 3)))
     left, right, label = E.compare(x, y, p, y[:, :2], (np.ones(900), np.ones(700)), 0.99, math.sqrt(0.02) + 1e-6)
     assert left.tolist() == (x @ y.T >= 0.99).sum(1).tolist() and right.tolist() == (x @ y.T >= 0.99).sum(0).tolist()
+
+
+def test_distant_leaves_are_not_sent(spark):
+    centres = rng.normal(size=(40, 16))
+    rows = [(k, (centres[k % 40] + rng.normal(size=16) * 0.01).tolist()) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("vec_id AS node", "1L AS copies", "embedding AS v")
+    reach = math.sqrt(2 - 2 * E.COSINE) + E.SLACK
+    leaves = E.saved(E.grid_ordered(frame, reach, E.directions(frame, 4000), 64), "leaves")
+    leaves = E.numbered(leaves, 512)
+    count = {r.block: r["count"] for r in leaves.groupBy("block").count().collect()}
+    assert sorted(r.leaf for r in leaves.select("leaf").collect()) == list(range(sum(count.values())))
+    boxes = leaves.select("block", "size", "lo", "hi")
+    pairs = E.saved(E.near_intervals(boxes, reach), "pairs")
+    sent = E.needed_leaves(pairs, leaves.select("block", "leaf", "size", "lo", "hi"), reach).count()
+    assert sent < 0.5 * sum(count[r.a] + (count[r.b] if r.b != r.a else 0) for r in pairs.collect())
