@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-The k-grams of a text are runs of `K` code points, A-Z in lower case.  Their hashes are polynomials of the code
-points' hashes, as rolling hashes are: no k-gram is hashed anew, but the hash of 2 m code points is made of those of
-m and the m after them, for all positions at once.  Of every `WINDOW` neighbouring k-grams the one with the least
+The k-grams of a text are runs of `K` code points, A-Z in lower case.  Their hashes are polynomials of the hashes of
+`UNIT` code points, as rolling hashes are: no k-gram is hashed anew, but the hash of 2 m code points is made of those
+of m and the m after them, for all positions at once.  Of every `WINDOW` neighbouring k-grams the one with the least
 hash is chosen, the rightmost of equals, and kept with its position; so two texts that share WINDOW + K - 1
 code points in a row share a chosen k-gram, whatever their script.  Hash and position stand in one long (hash above,
 inverted position below), whose plain minimum is the rule; minima over windows are built by doubling.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: Powers of two.
 K = 16
 WINDOW = 32
+UNIT = 4
 #: A text that has so many code points before a place tells all windows that end before it.
 CONTEXT = K + WINDOW - 2
 PRIME = (1 << 31) - 1
@@ -38,9 +39,9 @@ def with_winnows(df: DataFrame, text: str, out: str, offset: str = "0") -> DataF
     grams = f"_{out}_grams"
     # Four bytes for each code point, so that any of them is found at once; a lambda's variable, so that it is made once.
     points = f"encode(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), 'UTF-32')"
-    hashed = f"transform(array({points}), b -> transform(sequence(0, greatest(length(b) div 4 - 1, 0)), i -> pmod(xxhash64(substring(b, i * 4 + 1, 4)), {PRIME}L)))[0]"
+    hashed = f"transform(array({points}), b -> transform(sequence(0, greatest(length(b) div 4 - {UNIT}, 0)), i -> pmod(xxhash64(substring(b, i * 4 + 1, {4 * UNIT})), {PRIME}L)))[0]"
     df = df.withColumn(grams, F.expr(hashed))
-    step, factor = 1, BASE
+    step, factor = UNIT, BASE
     while step < K:
         df = df.withColumn(grams, F.expr(f"zip_with({grams}, {_from(grams, step)}, (a, b) -> (a * {factor}L + b) % {PRIME}L)"))
         step, factor = 2 * step, factor * factor % PRIME

@@ -13,17 +13,19 @@ def signed_mod(h):
 def plain_winnow(text):
     """[(position, hash)] by the definition: a hash that rolls over the code points, then one window after another."""
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    hashes, power = [], pow(W.BASE, W.K - 1, W.PRIME)
+    hashes, places = [], W.K // W.UNIT
     if 0 < len(text) < W.K:
         hashes = [signed_mod(xxhash.xxh64_intdigest(text.encode(), 42))]
     else:
-        h, points = 0, [signed_mod(xxhash.xxh64_intdigest(ord(c).to_bytes(4, "big"), 42)) for c in text]
-        for i, c in enumerate(points):
-            if i >= W.K:
-                h -= points[i - W.K] * power
-            h = (h * W.BASE + c) % W.PRIME
-            if i >= W.K - 1:
-                hashes.append(h)
+        units = [signed_mod(xxhash.xxh64_intdigest(text[i : i + W.UNIT].encode("utf-32-be"), 42)) for i in range(len(text) - W.UNIT + 1)]
+        for i in range(len(text) - W.K + 1):
+            if i < W.UNIT:
+                h = 0
+                for k in range(places):
+                    h = (h * W.BASE + units[i + k * W.UNIT]) % W.PRIME
+            else:  # the first unit goes, another comes
+                h = ((hashes[i - W.UNIT] - units[i - W.UNIT] * pow(W.BASE, places - 1, W.PRIME)) * W.BASE + units[i + W.K - W.UNIT]) % W.PRIME
+            hashes.append(h)
     chosen = []
     for i in range(max(1, len(hashes) - W.WINDOW + 1) if hashes else 0):
         window = hashes[i : i + W.WINDOW]
