@@ -97,8 +97,8 @@ def tree_paths(described: str) -> set[tuple[Condition, ...]]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Rules:
     """Rules learnt from about `train_rows` of the labelled rows, picked by a hash of the id."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label"))
-    share = min(1.0, train_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("_id").agg(F.max("_label").alias("_label"))
+    share, most = min(1.0, train_rows / max(1, known.count())), 1 << 60
+    known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(most)) < int(share * most)).groupBy("_id").agg(F.max("_label").alias("_label"))
     # The sample of labels has a bounded number of rows.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
     rows = with_statistics(rows, "text").select("_id", "_label", "_stats")
@@ -129,5 +129,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Labels other than 0 and 1 are left out, and of labels of one id the greatest counts.
     """
     rules = fit(docs.where(~held_out(id_col)), labels.where(~held_out(id_col)), id_col, text_col, label_col, **bounds)
-    scored = with_statistics(docs, text_col).withColumns({"held_out": held_out(id_col), "score": rules.score()})
-    return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)).drop("_stats")
+    # The caller's columns travel in one struct, so that none of theirs has the name of one of ours.
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
+    scored = with_statistics(rows, "text").withColumn("score", rules.score())
+    scored = scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
+    return scored.select(*own, "held_out", "score", "predicted")
